@@ -1,0 +1,49 @@
+import hashlib
+import re
+
+import pyarrow.parquet as pq
+
+from strata.llm.decontaminate import decontaminate
+from strata.llm.registry import QUERIES
+
+DIR = "/root/testdata/sf0.01"
+A = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(A))
+
+
+def brute(docs, items):
+    grams = {}
+    for i, t in items:
+        w = words(t)
+        n = min(8, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            grams.setdefault(tuple(w[k : k + n]), set()).add(i)
+    out = []
+    for d, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in {len(g) for g in grams}:
+            for k in range(len(w) - n + 1):
+                if own := grams.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    found |= own
+        ids = ",".join(sorted(map(str, found)))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), len(found) >= 2))
+    return sorted(out)
+
+
+def test_equals_brute_force(spark):
+    read = lambda n, k: [(r[k], r["text"]) for r in pq.read_table(f"{DIR}/{n}.parquet").to_pylist()]
+    ours = sorted(tuple(r) for r in QUERIES["op5_decontaminate"](spark, DIR).collect())
+    assert ours == brute(read("documents", "doc_id"), read("benchmark", "item_id"))
+
+
+def test_edges(spark):
+    docs = [(1, None), (2, ""), (3, "A b. a B"), (4, "x " * 5000), (4, "a b")]
+    items = [(1, "a b"), (2, None), (3, "b"), (10, "!")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items) for r in decontaminate(d.filter("n_words is null" if "n_words" in d.columns else "doc_id < 4"), i).collect()}
+    assert got == {(1, 0): (0, 0), (2, 0): (0, 0), (3, 4): (4, 2)}
+    assert decontaminate(d, i.limit(0)).filter("n_hit > 0").count() == 0
