@@ -1,11 +1,19 @@
 from strata.llm.decontaminate import decontaminate
+from strata.llm.token_files import token_files
 
 
 def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def tokenizer(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES = {
+    "op2_token_files": lambda s, d: token_files(table(s, d, "documents"), tokenizer("word_bpe_49k.json")),
     "op5_decontaminate": lambda s, d: decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
 }
 SQL = {}
