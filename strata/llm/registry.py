@@ -1,4 +1,5 @@
 from strata.llm.decontaminate import decontaminate
+from strata.llm.licenses import licenses
 from strata.llm.token_files import token_files
 
 
@@ -15,5 +16,6 @@ def tokenizer(name):
 QUERIES = {
     "op2_token_files": lambda s, d: token_files(table(s, d, "documents"), tokenizer("word_bpe_49k.json")),
     "op5_decontaminate": lambda s, d: decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op8_licenses": lambda s, d: licenses(table(s, d, "documents")),
 }
 SQL = {}
