@@ -1,5 +1,6 @@
 from strata.llm.decontaminate import decontaminate
 from strata.llm.licenses import licenses
+from strata.llm.near_dedup import near_dedup
 from strata.llm.token_files import token_files
 
 
@@ -15,6 +16,7 @@ def tokenizer(name):
 
 QUERIES = {
     "op2_token_files": lambda s, d: token_files(table(s, d, "documents"), tokenizer("word_bpe_49k.json")),
+    "op4_near_dedup": lambda s, d: near_dedup(table(s, d, "documents"), 3, 85),
     "op5_decontaminate": lambda s, d: decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_licenses": lambda s, d: licenses(table(s, d, "documents")),
 }

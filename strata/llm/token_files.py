@@ -4,20 +4,15 @@ Repeated doc_ids keep their rows, in any order among themselves. Null texts hold
 the end id alone; an empty table gives no rows.
 """
 
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.llm.shared import shared_folder
 from strata.llm.tokens import encode
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/strata-shared'}/{uuid.uuid4().hex}"
-
-
 def write(docs: DataFrame, tokenizer_file: str, end_id: int, path: str) -> None:
     def run(batches):
         import numpy as np
