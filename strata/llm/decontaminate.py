@@ -8,45 +8,54 @@ Null and wordless texts have no words and no hits.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# ASCII, and what becomes of it: lower case, digits, and spaces for all else.
+ASCII = "".join(map(chr, range(128)))
+PLAIN = "".join(c.lower() if c.isalnum() else " " for c in ASCII)
 #: The benchmark's windows are broadcast up to this many; beyond it the join shuffles.
 MAX_BROADCAST_WINDOWS = 1_000_000
 
 
 def words(text):
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    spaced = F.translate(F.coalesce(text, F.lit("")), ASCII, PLAIN)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def _windows(n: int):
-    """Start and text of each window of n words of column w."""
-    starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))
+def _window(at, n: int):
+    """Hash of the n words of column w from `at`, over no array of their own."""
+    return F.xxhash64(F.lit(n), *[F.get("w", at + j) for j in range(n)])
+
+
+def _gram(at, n):
+    return F.array_join(F.slice("w", at + 1, n), " ")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 2) -> DataFrame:
     item = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     item = item.select("item_id", F.least(F.size("w"), F.lit(n)).alias("n"), "w")
     sizes = [r.n for r in item.select("n").distinct().collect()]  # at most n of them
-    grams = None
-    for k in sizes:
-        part = item.filter(F.col("n") == k).select("item_id", F.explode(_windows(k)).alias("x")).select("item_id", F.lit(k).alias("n"), F.col("x.gram").alias("gram")).distinct()
-        grams = part if grams is None else grams.unionByName(part)
     doc = docs.select("doc_id", words(F.col("text")).alias("w"))
     totals = doc.select("doc_id", F.size("w").cast("long").alias("n_words"))
-    if grams is None:
+
+    def windows(rows: DataFrame, key: str, *more: str) -> DataFrame:
+        # The outer explode keeps Spark from splitting every text once more to test for words.
+        starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
+        placed = rows.withColumn("at", F.explode_outer(starts)).filter("at is not null")
+        each = F.array(*[F.struct(F.lit(k).alias("n"), _window(F.col("at"), k).alias("h")) for k in sizes])
+        return placed.withColumn("x", F.explode(each)).select(key, *more, "w", "at", "x.n", "x.h").filter(F.col("at") + F.col("n") <= F.size("w"))
+
+    if not sizes:
         hits = totals.select("doc_id", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("found")).limit(0)
     else:
+        own = windows(item.withColumnRenamed("n", "own"), "item_id", "own").filter("n = own")
+        grams = own.select("item_id", "h", _gram(F.col("at"), F.col("n")).alias("gram")).distinct()
         small = grams.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS
-        held = grams.groupBy("n", "gram").agg(F.collect_set("item_id").alias("items"))
-        held = F.broadcast(held) if small else held
-        seen = None
-        for k in sizes:
-            part = doc.select("doc_id", F.explode(_windows(k)).alias("x")).select("doc_id", F.lit(k).alias("n"), "x.at", F.col("x.gram").alias("gram"))
-            seen = part if seen is None else seen.unionByName(part)
-        hits = seen.join(held, ["n", "gram"]).groupBy("doc_id").agg(
+        held = grams.groupBy("h", "gram").agg(F.collect_set("item_id").alias("items")).groupBy("h").agg(F.collect_list(F.struct("gram", "items")).alias("same"))
+        seen = windows(doc, "doc_id").join(F.broadcast(held) if small else held, "h")
+        # A hash names candidates; the words decide.
+        real = seen.withColumn("gram", _gram(F.col("at"), F.col("n"))).select("doc_id", "at", "n", F.explode(F.filter("same", lambda g: g["gram"] == F.col("gram"))).alias("g"))
+        hits = real.groupBy("doc_id").agg(
             F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1))))).cast("long").alias("n_hit"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.transform("items", lambda x: x.cast("string")))))).alias("found"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.transform("g.items", lambda x: x.cast("string")))))).alias("found"),
         )
     out = totals.join(hits, "doc_id", "left")
     found = F.coalesce("found", F.array().cast("array<string>"))
