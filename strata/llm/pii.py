@@ -3,6 +3,8 @@
 Base entities (email, ip, card, phone) are seeds. The words left of them are
 patterns; patterns and the instances beside them score each other in rounds,
 and identifiers beside patterns of high confidence are found as `context`.
+A pattern's confidence falls with each ordinary word that follows it anywhere
+in the texts; repeats of one instance beside it count once.
 Offsets are code points. A null text is empty and has no entities; repeated
 rows are judged alone, their instances counting once in the graph; an empty
 table gives an empty result. Other columns may have any names.
@@ -23,7 +25,12 @@ KINDS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z0-9](?=[A-Za-z0-9-]{0,60}?[0-9]{3})[A-Za-z0-9-]{7,62}(?![A-Za-z0-9-])"
-#: Rounds of scoring, confidence asked of a pattern and of an instance, and seeds asked of a pattern.
+#: Marks between words; a + before a digit begins a phone.
+MARKS = r"(?:(?!\+[0-9])[^\s\p{L}\p{N}])++"
+# A word with the space and marks up to a next word, and the part of a word before a mark inside it.
+BEFORE = rf"(?<!\S)(?=(\S++(?:\s++{MARKS})?+\s*+)(?=[\p{{L}}\p{{N}}+]))\S++"
+INSIDE = r"(?<![A-Za-z0-9\s])(?=[\p{L}\p{N}+])(?<=((?<!\S)\S{1,39}|\S{40}))"
+#: Rounds of scoring, confidence asked of a pattern and of an instance, and confident instances asked of a pattern.
 ROUNDS, SURE, MIN_SEEDS, LEFT = 3, 0.6, 3, 40
 
 
@@ -54,13 +61,14 @@ def _matches(text, kind: str, pattern: str):
     """Valid matches: kind, start, end, what, left (the text before)."""
     what, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pair = F.arrays_zip(what.alias("what"), F.slice(gaps, F.lit(1), F.size(what)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,what:string,left:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast("array<struct<kind:string,start:int,end:int,what:string,left:string>>").alias("out"))
 
     def step(s, x):
         a = s["at"] + F.length(x["gap"])
         b = a + F.length(x["what"])
-        one = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["what"].alias("what"), F.right(x["gap"], F.lit(LEFT)).alias("left"))
-        return F.struct(b.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+        left = F.right(F.concat(s["before"], x["gap"]), F.lit(LEFT))
+        one = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["what"].alias("what"), left.alias("left"))
+        return F.struct(b.alias("at"), F.right(F.concat(left, x["what"]), F.lit(LEFT)).alias("before"), F.concat(s["out"], F.array(one)).alias("out"))
 
     found = F.when(F.size(what) > 0, F.aggregate(pair, start, step, lambda s: s["out"]))
     found = F.filter(found, lambda x: VALID[kind](x["what"]))
@@ -69,21 +77,36 @@ def _matches(text, kind: str, pattern: str):
 
 def _pattern(left):
     """The last word before an instance, with the marks between."""
-    return F.lower(F.regexp_extract(left, r"(?:^|\s)(\S+(?:\s+[^\sA-Za-z0-9]+)?\s*)$", 1))
+    return F.lower(F.regexp_extract(left, rf"(?:^|\s)(\S+(?:\s+{MARKS})?\s*)$", 1))
+
+
+def _followed(own: DataFrame) -> DataFrame:
+    """How often each pattern stands before any word of the texts, ordinary ones included."""
+    text = F.coalesce("d.text", F.lit(""))
+    left = own.select(F.explode(F.concat(F.regexp_extract_all(text, F.lit(BEFORE), F.lit(1)), F.regexp_extract_all(text, F.lit(INSIDE), F.lit(1)))).alias("left"))
+    pattern = F.when(F.length("left") <= LEFT, F.lower("left")).otherwise(_pattern(F.right("left", F.lit(LEFT))))
+    return left.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("words"))
 
 
 def _graph(own: DataFrame) -> DataFrame:
     """Patterns of high confidence by mutual scoring of patterns and instances."""
     side = lambda c, seed: own.select(F.explode(c).alias("x")).select(_pattern(F.col("x.left")).alias("pattern"), F.xxhash64("x.what").alias("instance"), F.lit(seed).alias("seed"))
-    edges = side("base", 1.0).union(side("more", 0.0)).filter("trim(pattern) <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    able = edges.groupBy("pattern").agg(F.sum("seed").alias("s")).filter(F.col("s") >= MIN_SEEDS).select("pattern")
-    edges = stored(edges.join(able, "pattern", "left_semi"))
-    scored = edges.withColumn("sure", F.col("seed"))
+    edges = side("base", 1.0).union(side("more", 0.0)).filter("trim(pattern) <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    edges = stored(edges)
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("own"), F.sum("n").alias("n")).join(_followed(own), "pattern", "left")
+    others = F.greatest(F.coalesce("words", F.lit(0)) - F.col("n"), F.lit(0))
+    sizes = stored(sizes.select("pattern", (F.col("own") + others).alias("size")))
+    edges, scored = edges.drop("n"), edges.withColumn("sure", F.col("seed"))
+
+    def judged(scored):
+        able = scored.groupBy("pattern").agg(F.sum("sure").alias("s"), F.count_if(F.col("sure") >= SURE).alias("k")).filter(F.col("k") >= MIN_SEEDS)
+        return able.join(sizes, "pattern").select("pattern", (F.col("s") / (F.col("size") + 1)).alias("p"))
+
     for _ in range(ROUNDS):
-        patterns = scored.groupBy("pattern").agg((F.sum("sure") / (F.count("*") + 1)).alias("p"))
-        instances = edges.join(patterns, "pattern").groupBy("instance").agg(F.max(F.greatest("seed", "p")).alias("sure"))
+        # A seed is sure of itself; an instance beside no pattern with support has no confidence yet.
+        instances = edges.join(judged(scored), "pattern", "left").groupBy("instance").agg(F.max(F.greatest("seed", F.coalesce("p", F.lit(0.0)))).alias("sure"))
         scored = stored(edges.join(instances, "instance"))
-    return scored.groupBy("pattern").agg((F.sum("sure") / (F.count("*") + 1)).alias("p")).filter(F.col("p") >= SURE).select("pattern")
+    return judged(scored).filter(F.col("p") >= SURE).select("pattern")
 
 
 def find(docs: DataFrame) -> DataFrame:

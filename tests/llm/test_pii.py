@@ -3,7 +3,7 @@ import re
 
 import pyarrow.parquet as pq
 
-from strata.llm.pii import pii, redact
+from strata.llm.pii import BEFORE, INSIDE, pii, redact
 from strata.llm.registry import QUERIES
 
 DIR = "/root/testdata/sf0.01"
@@ -56,3 +56,28 @@ def test_contexts_find_more(spark):
     seeds = [(100 + i, f"his contact is u{i}@a.example") for i in range(9)] + [(110, "his contact is QX44556677")]
     got = {r.doc_id: r.spans for r in pii(spark.createDataFrame(rows + more + seeds, "doc_id long, text string")).collect()}
     assert got[110] == "context:15:25" and got[21] == ""
+
+
+def spans(spark, texts):
+    return {r.doc_id: r.spans for r in pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_words_before_ordinary_words_are_no_contexts(spark):
+    seeds = [f"by the u{i}@a.example" for i in range(5)]
+    got = spans(spark, ["by the 1234567890123456 end"] + seeds + [f"and the cat{x} sat" for x in "abcdefghij"])
+    assert got[0] == "" and all(got[k].startswith("email:") for k in range(1, 6))
+    # Without the ordinary words the same context is sure, however often one of its instances is repeated.
+    assert spans(spark, ["by the 1234567890123456 end"] + seeds + ["by the u0@a.example"] * 20)[0] == "context:7:23"
+
+
+def test_found_instances_admit_patterns_without_seeds(spark):
+    known = [f"ID4455667{i}" for i in range(5)]
+    got = spans(spark, ["our ref: QX99887766 end"] + [f"his contact: u{i}@a.example" for i in range(20)] + [f"his contact: {x}" for x in known] + [f"our ref: {x}" for x in known])
+    assert got[0] == "context:9:19"
+
+
+def test_every_context_of_a_word_is_counted(spark):
+    text = "one  two - three (four) a:b-c x - - y tel +49 \u00e9\u00e9 end"
+    got = spark.createDataFrame([(text,)], "text string").selectExpr(f"regexp_extract_all(text, r'{BEFORE}', 1) as x", f"regexp_extract_all(text, r'{INSIDE}', 1) as y").first()
+    assert got.x == ["one  ", "two - ", "- ", "three (", "(four) ", "a:b-c ", "- - ", "- ", "y ", "tel ", "+49 ", "\u00e9\u00e9 "]
+    assert {"(", "a:", "a:b-"} <= set(got.y)
