@@ -6,8 +6,8 @@ are compared. Repeated rows fall into one class. A null doc_id joins the class
 of its text and is never kept. Other columns are ignored; an empty table gives
 an empty result.
 
-Bands miss a link at the threshold with probability (1 - t^rows)^bands, below
-1e-6 with the default sizes. Within a bucket each class is first compared with
+Bands miss a link at the threshold with probability (1 - t^rows)^bands; there
+are as many bands as bring it below MISSED: 24 at 0.85, 35 at 0.8. Within a bucket each class is first compared with
 the bucket's smallest class; classes still in different components are then
 compared with each other, so the groups are those of all pairs in the bucket.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from strata.llm.shared import stored
 
-BANDS, ROWS = 24, 5
+#: Hashes in a band, and the greatest probability of missing a link at the threshold.
+ROWS, MISSED = 5, 1e-6
 #: Ids of compared classes are broadcast up to this many; beyond it the join shuffles.
 MAX_BROADCAST_IDS = 500_000
 #: Texts are hashed together up to about this many shingles.
@@ -60,7 +61,14 @@ class Shingler:
         return np.unique(mixed)
 
 
-def sign(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def bands_for(least: float, rows: int = ROWS) -> int:
+    """The fewest bands that miss a pair of this similarity with a probability of at most MISSED."""
+    import math
+
+    return 1 if least >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(least**rows)))
+
+
+def sign(docs: DataFrame, n: int, bands: int, rows: int = ROWS) -> DataFrame:
     def run(batches):
         import hashlib
 
@@ -171,7 +179,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 def near_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; linked where den * common >= num * all shingles."""
-    signed = stored(sign(docs, n))
+    signed = stored(sign(docs, n, bands_for(num / den)))
     named = signed.filter("digest is not null and doc_id is not null")
     rep = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = stored(named.join(rep.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest"]).withColumnRenamed("doc_id", "rep"))

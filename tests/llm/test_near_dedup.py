@@ -2,7 +2,7 @@ import re
 
 import pyarrow.parquet as pq
 
-from strata.llm.near_dedup import components, near_dedup
+from strata.llm.near_dedup import ROWS, bands_for, components, near_dedup, sign
 from strata.llm.registry import QUERIES
 
 DIR = "/root/testdata/sf0.01"
@@ -48,3 +48,9 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup(docs, 3, 85).collect())
     assert got == [(0, 1, 4, False), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (6, 1, 6, True)]
     assert near_dedup(docs.limit(0)).count() == 0
+
+
+def test_bands_suit_the_similarity(spark):
+    assert all((1 - s**ROWS) ** bands_for(s) <= 1e-6 < (1 - s**ROWS) ** (bands_for(s) - 1) for s in (0.5, 0.8, 0.85, 0.95)) and bands_for(1.0) == 1
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    assert (bands_for(0.85), len(sign(docs, 5, bands_for(0.8)).first().bands)) == (24, 35)
