@@ -3,7 +3,8 @@
 Language ID drops texts without a language; of near copies one stays;
 documents that hold benchmark items go; personal data is replaced by its kind;
 the rest is packed. Every stage is written to the shared folder as Parquet and
-read again. Null texts have no language and go at the first stage.
+read again. Null texts have no language and go at the first stage. Rows are
+judged by keys of their own, so those without a doc_id stay like any others.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,17 @@ LEAST_HIT = 8
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, stored so that it stays."""
+    return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("row").alias("doc_id"), "text")
+
+
+def _keep(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    return keyed.join(rows.select(F.col("doc_id").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +41,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, near_dedup(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
+    # Keys rise with doc_id, rows without one last: of a group the smallest doc_id stays.
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    keyed = _keyed(docs.repartitionByRange(*order).sortWithinPartitions(*order))
+    return _keep(keyed, near_dedup(_by_row(keyed)).filter("kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, decontaminate(docs, table(spark, sf_dir, "benchmark"), least=1).filter(f"not contaminated or n_hit < {LEAST_HIT}"))
+    keyed = _keyed(docs)
+    return _keep(keyed, decontaminate(_by_row(keyed), table(spark, sf_dir, "benchmark"), least=1).filter(f"not contaminated or n_hit < {LEAST_HIT}"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,3 +9,22 @@ def test_pipeline_packs_kept_documents_once(spark):
     assert set(got.doc_id) <= ids and len(got) > 0 and not got.duplicated(["doc_id", "piece"]).any()
     own = got.sort_values(["sequence_id", "offset"])
     assert (own.groupby("sequence_id").length.cumsum() - own.length == own.offset).all()
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows(spark, pairs):
+    return spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in pairs], COLUMNS)
+
+
+def test_rows_without_doc_id_stay(spark):
+    plain = [(None, "one two three four five six seven"), (None, "a plain text of its own"), (7, "some other plain text"), (3, "a text held twice under two ids"), (5, "a text held twice under two ids"), (None, "a text held twice under two ids")]
+    own = {(None, plain[0][1]), (None, plain[1][1]), (7, plain[2][1]), (3, plain[3][1])}
+    for pairs in (plain, plain[::-1]):
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.dedup(spark, rows(spark, pairs), DIR).collect()]
+        assert len(got) == 4 and set(got) == own
+    left = corpus_pipeline.decontamination(spark, rows(spark, plain), DIR).collect()
+    assert len(left) == len(plain) and {r.text for r in left} == {t for _, t in plain}
+    packed = corpus_pipeline.packing(spark, rows(spark, plain[:3]), DIR).collect()
+    assert sorted(r.doc_id or 0 for r in packed) == [0, 0, 7]
