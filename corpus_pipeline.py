@@ -1,9 +1,9 @@
 """Documents to packed training sequences, stage by stage.
 
 Language ID drops texts without a language; of near copies one stays;
-documents that hold benchmark items go; personal data is replaced by its kind;
-the rest is packed. Every stage is written to the shared folder as Parquet and
-read again. Null texts have no language and go at the first stage. Rows are
+documents that hold a window of a benchmark item, or all of a shorter item, go;
+personal data is replaced by its kind; the rest is packed. Every stage is
+written to the shared folder as Parquet and read again. Null texts have no language and go at the first stage. Rows are
 judged by keys of their own, so those without a doc_id stay like any others.
 """
 
@@ -18,8 +18,6 @@ from strata.llm.pii import redact
 from strata.llm.registry import table, tokenizer
 from strata.llm.shared import stored
 
-#: Documents with this many words inside windows of any item go.
-LEAST_HIT = 8
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -49,7 +47,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
-    return _keep(keyed, decontaminate(_by_row(keyed), table(spark, sf_dir, "benchmark"), least=1).filter(f"not contaminated or n_hit < {LEAST_HIT}"))
+    return _keep(keyed, decontaminate(_by_row(keyed), table(spark, sf_dir, "benchmark"), least=1).filter("not contaminated"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,11 @@ def test_rows_without_doc_id_stay(spark):
     assert len(left) == len(plain) and {r.text for r in left} == {t for _, t in plain}
     packed = corpus_pipeline.packing(spark, rows(spark, plain[:3]), DIR).collect()
     assert sorted(r.doc_id or 0 for r in packed) == [0, 0, 7]
+
+
+def test_whole_short_items_remove_documents(spark, tmp_path):
+    items = [(1, "who wrote Faust"), (2, "one two three four five six seven eight nine")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["so who wrote faust then", "who wrote it", "a one two three four five six seven eight b", "one two three four five six seven"]
+    got = corpus_pipeline.decontamination(spark, rows(spark, list(enumerate(texts))), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]
