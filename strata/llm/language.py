@@ -11,12 +11,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Size of the feature table, words in a run, and the bounds of the training sample.
 SLOTS, SPAN = 1 << 18, 64
 MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, EPOCHS = 1200, 1000, 2
+#: Characters of a stretch of a longer training text.
+STRETCH = 100
 #: Words whose emissions a task keeps between batches.
 MAX_KNOWN_WORDS = 100_000
 WORD = r"[^\W\d_]+"
@@ -91,11 +93,41 @@ def fit(rows: list[tuple[str, str]]):
     return labels, weights, trans
 
 
+def quotas(counts: dict[str, int]) -> dict[str, int]:
+    """Texts of each label: equal shares of MAX_TRAIN_DOCS, what a label cannot fill going to the others; one at least."""
+    left, out = MAX_TRAIN_DOCS, {}
+    for k, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = max(1, min(n, left // (len(counts) - k)))
+        left = max(0, left - out[label])
+    return out
+
+
+def _stretches(text, h):
+    """At most MAX_TRAIN_CHARS characters of a text: whole, or stretches from all over it, chosen by hash, without cut words."""
+    at = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / STRETCH).cast("int"))
+    picked = F.slice(F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64(h, i).alias("o"), i.alias("i")))), 1, MAX_TRAIN_CHARS // STRETCH)
+    piece = lambda i: F.regexp_replace(F.regexp_replace(F.substring(text, i * STRETCH + 1, F.lit(STRETCH)), r"\s\S*$", ""), F.when(i > 0, r"^\S*\s").otherwise(r"^\z"), "")
+    return F.when(F.length(text) <= MAX_TRAIN_CHARS, text).otherwise(F.array_join(F.transform(F.array_sort(F.transform(picked, lambda x: x["i"])), piece), " "))
+
+
+def sample(docs: DataFrame, train) -> list[tuple[str, str]]:
+    """Distinct training texts and their labels, by quotas of labels and a hash of the text."""
+    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    distinct = known.select("lang", "h").distinct()
+    share = quotas({r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()})  # one a label
+    if not share:
+        return []
+    first = distinct.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= max(share.values()))
+    chosen = [(r.lang, r.h) for r in first.collect() if r.r <= share[r.lang]]
+    keys = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, h long"))
+    rows = known.join(keys, ["lang", "h"]).groupBy("lang", "h").agg(F.min(_stretches(F.col("text"), F.col("h"))).alias("t"))
+    return [(r.t, r.lang) for r in sorted(rows.collect(), key=lambda r: (r.h, r.lang))]
+
+
 def learn(docs: DataFrame, train) -> tuple:
-    """Fits on at most MAX_TRAIN_DOCS documents and MAX_TRAIN_CHARS characters of each, chosen by a hash of the text."""
-    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.substring("text", 1, MAX_TRAIN_CHARS).alias("t"), "lang", F.xxhash64("text").alias("h"))
-    rows = known.orderBy("h", "lang").limit(MAX_TRAIN_DOCS).collect()
-    return fit([(r.t, r.lang) for r in rows]) if rows else ([], None, None)
+    """Fits on about MAX_TRAIN_DOCS distinct documents, each label having its share, and MAX_TRAIN_CHARS characters of each."""
+    rows = sample(docs, train)
+    return fit(rows) if rows else ([], None, None)
 
 
 def predict(docs: DataFrame, model) -> DataFrame:

@@ -1,8 +1,9 @@
 import zlib
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from strata.llm.language import language_id, learn, predict, held_out
+from strata.llm.language import language_id, learn, predict, held_out, quotas, sample
 from strata.llm.quality import quality
 from strata.llm.registry import QUERIES
 
@@ -43,3 +44,13 @@ def test_quality_edges(spark):
     assert {r.score for r in quality(docs, none).collect()} == {0.5}
     some = spark.createDataFrame([(4, 1), (5, 0), (5, 0), (2, 1), (3, None), (1, 1)], "doc_id long, quality int")
     assert quality(docs, some).count() == len(ROWS) and quality(docs.limit(0), some).count() == 0
+
+
+def test_language_sample_is_distinct_and_holds_every_label(spark):
+    assert quotas({"a": 5000, "b": 3, "c": 5000}) == {"a": 598, "b": 3, "c": 599}
+    long = "first " * 1000 + "later " * 3000
+    rows = [(i, "one text held many times", "en") for i in range(1500)] + [(2000 + i, f"text number {i}", "en") for i in range(1400)] + [(9000, "ein seltener text", "de"), (9001, long, "fr")]
+    got = sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(got) == len(set(got)) == 1200 and {y for _, y in got} == {"en", "de", "fr"}
+    (text,) = [t for t, y in got if y == "fr"]
+    assert len(text) <= 1010 and text.count("later") > 9 and text.count("first") > 9 and set(text.split()) == {"first", "later"}
