@@ -4,7 +4,8 @@ Every text is encoded whole and ends with one end id; a null text holds the end
 id alone. Only longer documents are cut, their first piece taking the rest.
 Plans are made on the histogram of piece lengths, at most `size` rows however
 many documents there are; pieces find their place by their rank within their
-length. Repeated rows are packed alone; an empty table gives an empty result.
+length. Repeated rows are packed alone, null doc_ids like any other; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from bisect import bisect_left, insort
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.shared import stored
+from strata.llm.tokens import encoder, portions, texts
 
 PLACE = "length long, first long, last long, each long, base long, at long"
 
@@ -70,27 +72,29 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, keep_ids: bool = False) -> DataFrame:
+    end = end_id.to_bytes(4, "little")
+
     def run(batches):
         import zlib
 
-        import numpy as np
-        import pandas as pd
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_file)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            rows = []
-            for i in range(0, len(texts), 64):
-                for doc, e in zip(pdf["doc_id"].iloc[i : i + 64], tok.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)):
-                    ids = np.array([*e.ids, end_id], "<u4")
-                    ends = list(range(len(ids), 0, -size))[::-1]
+        import pyarrow as pa
+
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        encode = encoder(tokenizer_file)
+        for batch in batches:
+            for part in portions(batch):
+                rows = []
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts(part))):
+                    ids += end
+                    n = len(ids) // 4
+                    ends = list(range(n, 0, -size))[::-1]
                     for k, (a, b) in enumerate(zip([0, *ends], ends)):
-                        own = ids[a:b].tobytes()
+                        own = ids[4 * a : 4 * b]
                         rows.append((doc, k, a, b - a, zlib.crc32(own), own if keep_ids else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, size: int = 2048, keep_ids: bool = False) -> DataFrame:
