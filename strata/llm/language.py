@@ -2,35 +2,66 @@
 
 Emissions are sums of hashed affix, n-gram and lexicon (whole word) weights,
 transitions are learned; forward-backward gives each word's label in runs of
-SPAN words, and a text takes the label of the largest mean. Null texts and
-texts without letters are `und`, score 0. With nothing to learn from, all texts
-are `und`. Repeated rows are judged alone; an empty table gives an empty result.
+SPAN words, and a text takes the label of the largest mean, the first by name
+of equal ones. A word begins with letters and holds one Unicode letter at least.
+Null texts and texts without letters are `und`, score 0. With nothing to learn
+from, all texts are `und`. Repeated rows are judged alone, null doc_ids like any
+other; columns may have any names; an empty table gives an empty result.
 """
 
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from strata.llm.tokens import portions
 
-#: Size of the feature table, words in a run, and the bounds of the training sample.
-SLOTS, SPAN = 1 << 18, 64
-MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, EPOCHS = 1200, 1000, 2
-#: Characters of a stretch of a longer training text.
-STRETCH = 100
-#: Words whose emissions a task keeps between batches.
-MAX_KNOWN_WORDS = 100_000
+#: Size of the feature table, words in a run, passes over the training sample.
+SLOTS, SPAN, EPOCHS = 1 << 18, 64, 2
+#: The training sample: whole texts, at most this many and this many characters together, one of each label at least.
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 1200, 6_000_000
+#: Words whose emissions a task keeps between batches, and bytes of text judged together.
+MAX_KNOWN_WORDS, PORTION = 200_000, 1 << 20
 WORD = r"[^\W\d_]+"
 
 
-def features(word: str) -> list[int]:
-    from xxhash import xxh3_64_intdigest as h
+def slots(words: list[str]):
+    """Feature slots of words: positions x 2 of n-grams, where each word begins there, and words x 7 of affixes and the word.
+
+    A missing feature has slot SLOTS, whose weight stays zero.
+    """
+    import numpy as np
+
+    c = np.frombuffer("".join(f"<{w.lower()}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    size = np.array([len(w.lower()) + 2 for w in words])
+    end = np.cumsum(size)
+    start = end - size
+    left = np.repeat(end, size) - np.arange(len(c))
+
+    def mixed(x, kind):
+        x = (x + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return (x >> np.uint64(40)).astype("i8") & (SLOTS - 1)
+
+    shift = lambda n: np.concatenate([c[n:], np.zeros(n, "u8")])
+    two = c * np.uint64(1 << 21) + shift(1)
+    three = two * np.uint64(1 << 21) + shift(2)
+    grams = np.stack([np.where(left >= n, mixed(h, k), SLOTS) for n, h, k in ((2, two, 1), (3, three, 2))], 1)
+    own = [np.where(size - 2 >= n, mixed(h[at], k), SLOTS) for n, h, at, k in (
+        (1, c, start + 1, 3), (2, two, start + 1, 4), (3, three, start + 1, 5),
+        (1, c, end - 2, 6), (2, two, end - 3, 7), (3, three, np.maximum(end - 4, 0), 8),
+    )]
+    power = np.cumprod(np.full(int(size.max(initial=1)), 0x9E3779B97F4A7C15 | 1, "u8"))
+    whole = np.add.reduceat(c * power[np.arange(len(c)) - np.repeat(start, size)], start)
+    return grams, start, np.stack([*own, mixed(whole ^ (whole >> np.uint64(31)), 9)], 1)
+
+
+def emissions(words: list[str], weights):
+    """words x labels; weights has a zero row at SLOTS."""
+    import numpy as np
 
-    w = word.lower()[:40]
-    marked = f"<{w}>"
-    own = {f"w{w}"} | {f"p{w[:k]}" for k in (1, 2, 3)} | {f"s{w[-k:]}" for k in (1, 2, 3)} | {f"g{marked[i : i + k]}" for k in (2, 3) for i in range(len(marked) - k + 1)}
-    return sorted(h(x.encode("utf-8", "surrogatepass")) % SLOTS for x in own)
+    grams, start, own = slots(words)
+    return np.add.reduceat(weights[grams[:, 0]] + weights[grams[:, 1]], start) + weights[own].sum(axis=1)
 
 
 def marginals(emit, trans, lengths):
@@ -53,43 +84,67 @@ def marginals(emit, trans, lengths):
     return p, a, b, e, live
 
 
+def letters(word: str) -> bool:
+    """Digits and numerals of other scripts alone are no word."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
+def runs_of(sizes):
+    """First word and length of each run of SPAN words, and its text."""
+    import numpy as np
+
+    n = -(-sizes // SPAN)
+    owner = np.repeat(np.arange(len(sizes)), n)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    first = (np.cumsum(sizes) - sizes)[owner] + nth * SPAN
+    return first, np.minimum(SPAN, sizes[owner] - nth * SPAN), owner
+
+
 def fit(rows: list[tuple[str, str]]):
-    """labels, weights, transitions from (text, label) rows."""
+    """labels, weights (with a zero row at SLOTS), transitions from (text, label) rows."""
     import re
 
     import numpy as np
 
     labels = sorted({y for _, y in rows})
-    k, runs = len(labels), []
-    known = lru_cache(None)(features)
-    for text, y in rows:
-        words = re.findall(WORD, text)
-        for i in range(0, len(words), SPAN):
-            runs.append(([known(w) for w in words[i : i + SPAN]], labels.index(y)))
-    weights, trans = np.zeros((SLOTS, k), "f4"), np.zeros((k, k), "f4")
-    grad2, order = np.full((SLOTS, k), 1e-6, "f4"), np.random.default_rng(7)
+    k, place, at, sizes = len(labels), {}, [], []
+    for text, _ in rows:
+        words = [w for w in re.findall(WORD, text) if letters(w)]
+        at += [place.setdefault(w, len(place)) for w in words]
+        sizes.append(len(words))
+    weights, trans = np.zeros((SLOTS + 1, k), "f4"), np.zeros((k, k), "f4")
+    if not at:
+        return labels, weights, trans
+    grams, start, own = slots(list(place))
+    at, y = np.array(at), np.array([labels.index(y) for _, y in rows])
+    first, lengths, owner = runs_of(np.array(sizes))
+    # Each distinct word's features in one row of a flat list.
+    count = np.diff(np.append(start, len(grams))) * 2
+    flat = [np.concatenate([g.ravel(), o]) for g, o in zip(np.split(grams, start[1:]), own)]
+    width = count + own.shape[1]
+    flat, begin = np.concatenate(flat), np.cumsum(width) - width
+    grad2, order = np.full((SLOTS + 1, k), 1e-6, "f4"), np.random.default_rng(7)
     for _ in range(EPOCHS):
-        for part in np.array_split(order.permutation(len(runs)), max(1, len(runs) // 64)):
-            if not len(part):
-                continue
-            own = [runs[i] for i in part]
-            emit = np.zeros((len(own), SPAN, k), "f4")
-            for r, (fs, _) in enumerate(own):
-                flat, at = np.concatenate(fs), np.cumsum([0, *map(len, fs)])[:-1]
-                emit[r, : len(fs)] = np.add.reduceat(weights[flat], at)
-            p, a, b, e, live = marginals(emit, trans, [len(fs) for fs, _ in own])
-            gold = np.eye(k, dtype="f4")[[y for _, y in own]]
-            d = (gold[:, None] - p) * live[:, :, None]
-            for r, (fs, _) in enumerate(own):
-                flat = np.concatenate(fs)
-                g = np.repeat(d[r, : len(fs)], list(map(len, fs)), axis=0)
-                np.add.at(grad2, flat, g * g)
-                np.add.at(weights, flat, 0.1 * g / np.sqrt(grad2[flat]))
+        for part in np.array_split(order.permutation(len(first)), max(1, len(first) // 64)):
+            live = np.arange(SPAN) < lengths[part][:, None]
+            word = at[np.minimum(first[part][:, None] + np.arange(SPAN), len(at) - 1)]
+            seen, back = np.unique(word[live], return_inverse=True)
+            which = np.repeat(np.arange(len(seen)), width[seen])
+            slot = flat[np.arange(len(which)) - np.repeat(np.cumsum(width[seen]) - width[seen] - begin[seen], width[seen])]
+            emit = np.zeros((len(part), SPAN, k), "f4")
+            emit[live] = np.add.reduceat(weights[slot], np.cumsum(width[seen]) - width[seen])[back]
+            p, a, b, e, live = marginals(emit, trans, lengths[part])
+            gold = np.eye(k, dtype="f4")[y[owner[part]]]
+            d = np.stack([np.bincount(back, (gold[:, None] - p)[..., j][live], len(seen)) for j in range(k)], 1).astype("f4")
+            g = np.stack([np.bincount(slot, d[which, j], SLOTS + 1) for j in range(k)], 1).astype("f4")
+            g[SLOTS] = 0
+            grad2 += g * g
+            weights += 0.1 * g / np.sqrt(grad2)
             pair = a[:, :-1, :, None] * np.exp(trans) * (b * e)[:, 1:, None, :]
             pair /= pair.sum(axis=(2, 3), keepdims=True)
             on = live[:, 1:, None, None]
-            count = (gold[:, None, :, None] * gold[:, None, None, :] * on - pair * on).sum(axis=(0, 1))
-            trans += 0.05 * (count / max(1.0, float(on.sum())) * 8 - 0.02 * trans)
+            more = (gold[:, None, :, None] * gold[:, None, None, :] * on - pair * on).sum(axis=(0, 1))
+            trans += 0.05 * (more / max(1.0, float(on.sum())) * 8 - 0.02 * trans)
     return labels, weights, trans
 
 
@@ -102,90 +157,117 @@ def quotas(counts: dict[str, int]) -> dict[str, int]:
     return out
 
 
-def _stretches(text, h):
-    """At most MAX_TRAIN_CHARS characters of a text: whole, or stretches from all over it, chosen by hash, without cut words."""
-    at = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / STRETCH).cast("int"))
-    picked = F.slice(F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64(h, i).alias("o"), i.alias("i")))), 1, MAX_TRAIN_CHARS // STRETCH)
-    piece = lambda i: F.regexp_replace(F.regexp_replace(F.substring(text, i * STRETCH + 1, F.lit(STRETCH)), r"\s\S*$", ""), F.when(i > 0, r"^\S*\s").otherwise(r"^\z"), "")
-    return F.when(F.length(text) <= MAX_TRAIN_CHARS, text).otherwise(F.array_join(F.transform(F.array_sort(F.transform(picked, lambda x: x["i"])), piece), " "))
-
-
 def sample(docs: DataFrame, train) -> list[tuple[str, str]]:
-    """Distinct training texts and their labels, by quotas of labels and a hash of the text."""
-    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
-    distinct = known.select("lang", "h").distinct()
-    share = quotas({r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()})  # one a label
-    if not share:
+    """Distinct whole training texts and their labels, by quotas of labels and a hash of the text.
+
+    A label's texts come in the order of the hash until the next would pass its
+    share of MAX_TRAIN_CHARS; the first always comes.
+    """
+    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # one a label
+    if not counts:
         return []
-    first = distinct.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= max(share.values()))
-    chosen = [(r.lang, r.h) for r in first.collect() if r.r <= share[r.lang]]
-    keys = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, h long"))
-    rows = known.join(keys, ["lang", "h"]).groupBy("lang", "h").agg(F.min(_stretches(F.col("text"), F.col("h"))).alias("t"))
+    share = quotas(counts)
+    # A threshold of the hash lets about twice a label's share through, so neither sort nor driver sees more as tables grow.
+    low = lambda y: min((1 << 63) - 1, -(1 << 63) + int(min(1.0, (2 * share[y] + 100) / counts[y]) * (1 << 64)))
+    bounds = docs.sparkSession.createDataFrame([(y, low(y)) for y in share], "lang string, most long")
+    first = known.join(F.broadcast(bounds), "lang").filter("h <= most").select("lang", "h", "size").distinct()
+    chosen, chars, taken = [], dict.fromkeys(share, 0), dict.fromkeys(share, 0)
+    for r in sorted(first.collect(), key=lambda r: (r.lang, r.h, r.size)):  # about 2 * MAX_TRAIN_DOCS rows
+        full = taken[r.lang] >= share[r.lang] or chars[r.lang] + r.size > MAX_TRAIN_CHARS // len(share)
+        if not (taken[r.lang] and full):
+            chosen.append((r.lang, r.h, r.size))
+            taken[r.lang] += 1
+            chars[r.lang] += r.size
+    keys = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, h long, size int"))
+    rows = known.join(keys, ["lang", "h", "size"]).groupBy("lang", "h").agg(F.min("text").alias("t"))
     return [(r.t, r.lang) for r in sorted(rows.collect(), key=lambda r: (r.h, r.lang))]
 
 
 def learn(docs: DataFrame, train) -> tuple:
-    """Fits on about MAX_TRAIN_DOCS distinct documents, each label having its share, and MAX_TRAIN_CHARS characters of each."""
+    """Fits on at most MAX_TRAIN_DOCS distinct documents, each label having its share."""
     rows = sample(docs, train)
     return fit(rows) if rows else ([], None, None)
 
 
-def predict(docs: DataFrame, model) -> DataFrame:
-    """All columns of docs, lang_pred and score."""
-    labels, weights, trans = model
-    sent = docs.sparkSession.sparkContext.broadcast((weights, trans))  # SLOTS x labels
+class Judge:
+    """Labels texts; the emissions of words stay from call to call."""
 
-    def judge(texts, memo):
+    def __init__(self, labels, weights, trans):
         import re
 
         import numpy as np
 
-        weights, trans = sent.value
-        k, pattern = len(labels), re.compile(WORD)
-
-        def flush(sums, seen):
-            if runs:
-                lengths = [len(v) for v in runs]
-                at = np.zeros((len(runs), SPAN), "i8")
-                at[np.arange(SPAN) < np.array(lengths)[:, None]] = np.concatenate(runs)
-                p, *_, live = marginals(np.array(rows, "f4")[at], trans, lengths)
-                np.add.at(sums, owners, (p * live[:, :, None]).sum(axis=1))
-                np.add.at(seen, owners, live.sum(axis=1))
-            runs.clear()
-            owners.clear()
-
-        sums, seen = np.zeros((len(texts), max(k, 1))), np.zeros(len(texts))
-        rows, runs, owners = list(memo.values()), [], []
-        place = {w: i for i, w in enumerate(memo)}
-        for d, t in enumerate(texts):
-            words = pattern.findall(t) if k and isinstance(t, str) else []
-            for w in words:
-                if w not in place:
-                    place[w] = len(rows)
-                    rows.append(weights[features(w)].sum(axis=0))
-            own = [place[w] for w in words]
-            for i in range(0, len(own), SPAN):
-                runs.append(own[i : i + SPAN])
-                owners.append(d)
-            if len(runs) > 4000:
-                flush(sums, seen)
-                if len(rows) > MAX_KNOWN_WORDS:
-                    rows.clear()
-                    place.clear()
-        flush(sums, seen)
-        memo.clear()
-        memo.update(zip(place, rows))
-        mean = sums / np.maximum(seen, 1)[:, None]
-        return [labels[b] if n else "und" for b, n in zip(mean.argmax(axis=1), seen)], np.where(seen > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def tag(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo = {}
-        for s in parts:
-            named, score = judge(list(s), memo)
-            yield pd.DataFrame({"lang_pred": named, "score": score})
-
-    return docs.withColumn("_tag", tag("text")).select(*[docs[c] for c in docs.columns], F.col("_tag.lang_pred").alias("lang_pred"), F.col("_tag.score").alias("score"))
+        self.labels, self.weights, self.trans, self.find = labels, weights, trans, re.compile(WORD).findall
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((0, len(labels)), "f4")
+        self.used = 0
+
+    def _learn(self, new: list[str]):
+        """Emissions of words not met before; one without letters has the place -1."""
+        import numpy as np
+
+        real = [w for w in new if letters(w)]
+        self.place.update(dict.fromkeys(new, -1))
+        if not real:
+            return
+        need = self.used + len(real)
+        if need > len(self.rows):
+            grown = np.zeros((max(need, 2 * len(self.rows)), len(self.labels)), "f4")
+            grown[: self.used] = self.rows[: self.used]
+            self.rows = grown
+        for a in range(0, len(real), 20_000):
+            own = real[a : a + 20_000]
+            self.rows[self.used : self.used + len(own)] = emissions(own, self.weights)
+            self.place.update(zip(own, range(self.used, self.used + len(own))))
+            self.used += len(own)
+
+    def __call__(self, texts: list) -> tuple[list[str], list[float]]:
+        from itertools import chain
+
+        import numpy as np
+
+        if not self.labels:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        if self.used > MAX_KNOWN_WORDS:
+            self.place, self.used = {}, 0
+        found = [self.find(t) if t else [] for t in texts]
+        self._learn(list(set().union(*found).difference(self.place)))
+        sizes = np.array(list(map(len, found)))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(found)), "i8", int(sizes.sum()))
+        if len(at) and at.min() < 0:
+            owner = np.repeat(np.arange(len(texts)), sizes)[at >= 0]
+            at, sizes = at[at >= 0], np.bincount(owner, minlength=len(texts))
+        sums = np.zeros((len(texts), len(self.labels)))
+        first, lengths, owner = runs_of(sizes)
+        for a in range(0, len(first), 4000):
+            f, n = first[a : a + 4000], lengths[a : a + 4000]
+            p, *_, live = marginals(self.rows[at[np.minimum(f[:, None] + np.arange(SPAN), len(at) - 1)]], self.trans, n)
+            np.add.at(sums, owner[a : a + 4000], (p * live[:, :, None]).sum(axis=1))
+        mean = sums / np.maximum(sizes, 1)[:, None]
+        named = [self.labels[b] if n else "und" for b, n in zip(mean.argmax(axis=1), sizes)]
+        return named, np.where(sizes > 0, np.clip(mean.max(axis=1), 0, 1), 0.0).tolist()
+
+
+def predict(docs: DataFrame, model) -> DataFrame:
+    """All columns of docs, lang_pred and score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x labels
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    text = plain[docs.columns.index("text")]
+    # Columns are numbered on the way, so any names may stand beside the results.
+    numbered = docs.toDF(*plain)
+    schema = StructType([StructField(f.name, f.dataType) for f in numbered.schema]).add("lang_pred", "string").add("score", "double")
+
+    def tag(batches):
+        import pyarrow as pa
+
+        judge = Judge(*sent.value)
+        for batch in batches:
+            for part in portions(batch, PORTION, text):
+                named, score = judge(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named, pa.string()), pa.array(score, pa.float64())], names=[*plain, "lang_pred", "score"])
+
+    return numbered.mapInArrow(tag, schema).toDF(*docs.columns, "lang_pred", "score")
 
 
 def held_out():
@@ -194,5 +276,4 @@ def held_out():
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    model = learn(docs, ~held_out())
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), learn(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
