@@ -1,16 +1,47 @@
-"""Tables cut from their lineage in the shared folder."""
+"""Tables cut from their lineage in the shared folder, and joins that spread hot keys."""
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that hold more than one row in this many are hot; there are fewer of them than this.
+HOT = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/strata-shared'}/{uuid.uuid4().hex}"
+    """A new folder in spark.checkpoint.dir; a local one only where that is unset and all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/strata-shared"
+    return f"{root}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def attach(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one small row a key and in `n` how many rows of left hold it.
+
+    Hot keys, fewer than HOT, are broadcast; so no task gets all rows of one key.
+    """
+    many = max(total // HOT, 10_000)
+    if total <= many:
+        return left.join(right.drop("n"), on, how)
+    hot = right.filter(F.col("n") > many).drop("n")
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.filter(F.col("n") <= many).drop("n"), on, how)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
