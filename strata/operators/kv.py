@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADER_BYTES = 20
-MAX_KEY_BYTES, MAX_VALUE_BYTES = 65536, 1 << 30
+#: Log rows whose running sums one task makes.
+STRETCH = 1_000_000
 
 
 def changelog(df: DataFrame, key, value, seq, tombstone) -> DataFrame:
@@ -45,6 +46,11 @@ def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
     return wanted.join(hits, "key", "left").select("key", "value", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
+def exists(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The requested keys that are live, each once. Only their versions are merged."""
+    return live(log.join(keys.select("key").distinct(), "key", "left_semi")).select("key")
+
+
 def delete_count(log: DataFrame, keys: DataFrame) -> DataFrame:
     """Keys that exist when deleted in turn: a repeated key counts once."""
     return multi_get(log, keys).agg(F.coalesce(F.sum(F.col("found").cast("long")), F.lit(0)).cast("long").alias("n_deleted"))
@@ -73,5 +79,29 @@ def transitions(log: DataFrame) -> DataFrame:
     return log.withColumn("delta", ((~F.col("is_tombstone")).cast("long") - was.cast("long")))
 
 
+def running_count(log: DataFrame) -> DataFrame:
+    """key, seq, delta and n_live, the number of live keys after each write.
+
+    Sums run within stretches of the log; one row a stretch carries on from the one before.
+    """
+    moved = transitions(log).withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+    each = moved.groupBy("stretch").agg(F.sum("delta").alias("total"))
+    before = each.select("stretch", (F.sum("total").over(Window.orderBy("stretch")) - F.col("total")).alias("base"))
+    upto = F.sum("delta").over(Window.partitionBy("stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return moved.withColumn("upto", upto).join(F.broadcast(before), "stretch").select("key", "seq", "delta", (F.col("base") + F.col("upto")).alias("n_live"))
+
+
 def as_of(log: DataFrame, seq: int) -> DataFrame:
-    return live(log.filter(F.col("seq") < seq))
+    """The live view after the write numbered seq."""
+    return live(log.filter(F.col("seq") <= seq))
+
+
+def snapshot_diff(log: DataFrame, old: int, new: int) -> DataFrame:
+    """key, change (added, removed, changed), old_value, new_value between two places in the log, in one pass over it."""
+    at = lambda t: F.max_by(F.struct("value", "seq", "is_tombstone"), F.when(F.col("seq") <= t, F.col("seq")))
+    both = log.filter(F.col("seq") <= new).groupBy("key").agg(at(old).alias("a"), at(new).alias("b"))
+    alive = lambda x: F.col(x).isNotNull() & (F.col(f"{x}.seq") <= (old if x == "a" else new)) & ~F.col(f"{x}.is_tombstone")
+    both = both.withColumn("was", F.coalesce(alive("a"), F.lit(False))).withColumn("is", F.coalesce(alive("b"), F.lit(False)))
+    change = F.when(~F.col("was") & F.col("is"), "added").when(F.col("was") & ~F.col("is"), "removed").when(F.col("was") & F.col("is") & (F.col("a.value") != F.col("b.value")), "changed")
+    shown = lambda flag, x: F.when(F.col(flag), F.col(f"{x}.value"))
+    return both.select("key", change.alias("change"), shown("was", "a").alias("old_value"), shown("is", "b").alias("new_value")).filter("change is not null")
