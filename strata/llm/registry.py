@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from strata.llm import decontaminate as decontamination
 from strata.llm.decontaminate import decontaminate
 from strata.llm.html_text import main_text
 from strata.llm.language import language_id
@@ -34,4 +35,4 @@ QUERIES = {
     "op9_nearest": lambda s, d: nearest(table(s, d, "embeddings"), F.col("vec_id") % 50 == 0),
     "op10_quality": lambda s, d: quality(table(s, d, "documents"), table(s, d, "labels")),
 }
-SQL = {}
+SQL = {"op5_decontaminate": decontamination.SQL}

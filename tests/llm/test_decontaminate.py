@@ -1,10 +1,13 @@
 import hashlib
 import re
 
+import duckdb
 import pyarrow.parquet as pq
+import pytest
 
+from strata.llm import decontaminate as decontamination
 from strata.llm.decontaminate import decontaminate
-from strata.llm.registry import QUERIES
+from strata.llm.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.01"
 A = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,10 +43,29 @@ def test_equals_brute_force(spark):
     assert ours == brute(read("documents", "doc_id"), read("benchmark", "item_id"))
 
 
-def test_edges(spark):
-    docs = [(1, None), (2, ""), (3, "A b. a B"), (4, "x " * 5000), (4, "a b")]
-    items = [(1, "a b"), (2, None), (3, "b"), (10, "!")]
-    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items) for r in decontaminate(d.filter("n_words is null" if "n_words" in d.columns else "doc_id < 4"), i).collect()}
-    assert got == {(1, 0): (0, 0), (2, 0): (0, 0), (3, 4): (4, 2)}
-    assert decontaminate(d, i.limit(0)).filter("n_hit > 0").count() == 0
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    assert sorted(con.execute(SQL["op5_decontaminate"]).fetchall()) == sorted(tuple(r) for r in QUERIES["op5_decontaminate"](spark, DIR).collect())
+
+
+PASSAGE = "One two three, four five six seven eight nine ten"
+DOCS = [
+    (1, PASSAGE), (1, "nothing here"), (1, PASSAGE), (None, PASSAGE), (None, None), (2, ""), (2, "!!"), (3, "A b. a B"), (4, "x " * 50_000), (4, "a b"),
+    (5, "pre " * 30_000 + PASSAGE + " mid " + PASSAGE.upper()), (6, "é1 é1"), (7, "one two three four five six seven eight"), (8, "nine ten"),
+]
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_edges_equal_brute_force(spark, monkeypatch, shuffled):
+    if shuffled:
+        monkeypatch.setattr(decontamination, "MAX_BROADCAST_WINDOWS", 0)
+    items = [(1, "a b"), (2, None), (3, "b"), (10, "!"), (10, PASSAGE), (11, PASSAGE + " eleven"), (12, "é1"), (12, "é1")]
+    d = spark.createDataFrame(DOCS, "doc_id long, text string").selectExpr("*", "1 as w", "2 as n_words", "'h' as h")
+    i = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as n", "'x' as gram")
+    order = lambda rows: sorted(rows, key=repr)
+    want = order((doc, *brute([(0, t)], items)[0][1:]) for doc, t in DOCS)
+    assert order(tuple(r) for r in decontaminate(d, i).collect()) == want
+    assert decontaminate(d, i.limit(0)).filter("n_hit = 0 and n_items = 0 and not contaminated").count() == len(DOCS)
+    assert decontaminate(d.limit(0), i).count() == 0
