@@ -1,9 +1,10 @@
 import html
 import re
+import time
 
 import pyarrow.parquet as pq
 
-from strata.llm.html_text import blocks, main_text
+from strata.llm.html_text import Page, extract, main_text
 from strata.llm.registry import QUERIES
 
 DIR = "/root/testdata/sf0.01"
@@ -20,7 +21,7 @@ def test_equals_article_text(spark):
 
 def test_blocks():
     page = "<body><p>a &lt;b&gt;\n c<p>d<i>e</i><script>x='<p>'</script><div class='post-comments'><p>no</p></div><div>f</div><aside>g"
-    assert [t for _, t in blocks(page)] == ["a <b> c", "de", "f"]
+    assert extract(page, None).split("\n") == ["a <b> c", "de", "f"]
 
 
 def test_edges(spark):
@@ -29,3 +30,38 @@ def test_edges(spark):
     got = {r.page_id: r.text for r in main_text(pages).collect()}
     assert (got[1], got[2], got[3], got[4], got[None], got[5][:3]) == ("", "", "x", "plain", "y", "w w")
     assert main_text(pages).count() == len(rows) and main_text(pages.limit(0)).count() == 0
+
+
+STORY = "A long story of many words goes on here and on and on. "
+
+
+def pages(spark, htmls, host="http://a.example/"):
+    return spark.createDataFrame([(i, f"{host}{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+def test_sections_forms_and_labels_around_the_article(spark):
+    body = f"<h1>Title</h1><section class=intro><p>{STORY}</p></section><section class=story><p>{STORY * 2}</p><div class=share>Share this</div><p>End</p></section>"
+    want = f"Title\n{STORY.strip()}\n{(STORY * 2).strip()}\nEnd"
+    side = f"<div class=sidebar><p>{STORY * 3}</p></div><div class='comments'><p>{STORY * 9}</p></div><ul><li><a href=x>{STORY * 5}</a></li></ul>"
+    for wrap in ("<article>{}</article>", "<form><article>{}</article></form>", '<div class="post related"><article>{}</article></div>', '<div class="share notice header"><div class=a>{}</div></div>', '<div class="post related">{}</div>'):
+        whole = "<body>" + wrap.format(body) + "</body>"
+        assert extract(whole, None) == want, wrap
+        got = main_text(pages(spark, [whole] * 3)).collect()
+        assert {r.text for r in got} == {want}
+    assert extract(f"<body><article>{body}</article>{side}<footer>f</footer></body>", None) == want
+    assert extract(f"<body><form><p>{STORY}</p></form></body>", None) == STORY.strip()
+
+
+def test_a_host_votes_for_one_path(spark):
+    page = lambda a, b: f"<body><div class='c1 x'><p>{STORY * a}</p></div><div class=extra><p>{STORY * b}</p></div></body>"
+    got = {r.page_id: r.text for r in main_text(pages(spark, [page(9, 1)] * 5 + [page(1, 3), "<body><main><p>other</p></main></body>"])).collect()}
+    # On the sixth page the host's path decides, on the last its own.
+    assert got[5] == STORY.strip() and got[6] == "other"
+
+
+def test_hostile_pages_take_linear_time():
+    for page in ("<a " * 330_000, "<div>a" * 160_000, "<a x='\">" * 100_000, "<p><b class='" * 80_000, "<!--" * 250_000, "<script>" * 120_000, "<div class=ad>" * 70_000 + "x", "</div>" * 160_000 + "y", "<" * 1_000_000 + ">", "class   " * 120_000, "<a class" + " " * 900_000 + ">z"):
+        began = time.process_time()
+        extract(page, None)
+        assert time.process_time() - began < 20, page[:20]
+    assert extract("a < b <c", None) == "a < b" and extract("<p title='a>b'>x<p title=don't>y", None) == "x\ny"
