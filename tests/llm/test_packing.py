@@ -1,3 +1,5 @@
+import zlib
+from array import array
 from collections import defaultdict
 
 import public_tokenizers
@@ -31,7 +33,9 @@ def test_plan_places_each_piece_once_without_gaps(counts):
 def test_equals_direct_encoding_and_fills_sequences(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = QUERIES["op6_best_fit_packing"](spark, DIR).toPandas().sort_values(["doc_id", "piece"])
-    size = {r["doc_id"]: len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in pq.read_table(f"{DIR}/documents.parquet").to_pylist()}
+    ids = {r["doc_id"]: array("I", [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]) for r in pq.read_table(f"{DIR}/documents.parquet").to_pylist()}
+    size = {k: len(v) for k, v in ids.items()}
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length]) for r in got.itertuples())
     assert got.groupby("doc_id").length.sum().to_dict() == size
     assert (got.groupby("doc_id").length.cumsum() - got.length == got.start).all()
     own = got.sort_values(["sequence_id", "offset"])

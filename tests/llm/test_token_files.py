@@ -2,12 +2,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from strata.llm import dac
 from strata.llm.registry import QUERIES
-from strata.llm.token_files import token_files
+from strata.llm.token_files import token_at, token_files, write
 
 DIR = "/root/testdata/sf0.001"
 
@@ -34,3 +35,16 @@ def test_edges(spark):
     f = public_tokenizers.path("word_bpe_49k.json")
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in token_files(docs, f).collect()) == [(2, 0, 1), (5, 1, 1), (5, 2, 1)]
     assert token_files(docs.limit(0), f).count() == 0
+
+
+def test_any_token_by_its_number(spark, tmp_path):
+    f = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(3, "some words, and more"), (1, "x" * 20_000), (None, "y"), (2, None)], "doc_id long, text string")
+    write(docs, f, 1, f"{tmp_path}/t")
+    t = Tokenizer.from_file(f)
+    want = [i for text in ("y", "x" * 20_000, "", "some words, and more") for i in [*t.encode(text, add_special_tokens=False).ids, 1]]
+    for at in (0, 1, 2, len(want) // 2, len(want) - 2, len(want) - 1):
+        assert token_at(spark, f"{tmp_path}/t", at) == want[at]
+    for at in (-1, len(want)):
+        with pytest.raises(IndexError):
+            token_at(spark, f"{tmp_path}/t", at)
