@@ -33,16 +33,19 @@ def _gram(at, n):
     return F.array_join(F.slice("w", at + 1, n), " ")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 2) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of a row, k1 and k2: its doc_id (null too) and text. Equal rows share their hits."""
+    return docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("k2", F.xxhash64("doc_id", "text"))
+
+
+def found_in(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
+    """k1, k2, n_hit, found (sorted item_ids) of rows with hits; docs is keyed."""
     item = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     item = item.select("item_id", F.least(F.size("w"), F.lit(n)).alias("n"), "w")
     sizes = [r.n for r in item.select("n").distinct().collect()]  # at most n of them
-    # A row's key: its doc_id (null too) and text. Equal rows share their hits.
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k1"), F.xxhash64("doc_id", "text").alias("k2")]
-    doc = docs.select("doc_id", *key, words(F.col("text")).alias("w"))
-    totals = doc.select("doc_id", "k1", "k2", F.size("w").cast("long").alias("n_words"))
+    doc = docs.select("k1", "k2", words(F.col("text")).alias("w"))
     if not sizes:
-        return _report(totals.withColumn("n_hit", F.lit(None).cast("long")).withColumn("found", F.lit(None).cast("array<string>")), least)
+        return docs.select("k1", "k2", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("found")).limit(0)
 
     def windows(rows: DataFrame, *kept: str) -> DataFrame:
         # The outer explode keeps Spark from splitting every text once more to test for words.
@@ -66,11 +69,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 2)
     # Words of a window beyond the furthest end of those before it.
     upto = F.max("end").over(Window.partitionBy("k1", "k2").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("at"), F.coalesce(upto, F.lit(0))))
-    hits = real.withColumn("fresh", fresh).groupBy("k1", "k2").agg(F.sum("fresh").cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("g.items")))).alias("found"))
-    return _report(totals.join(hits, ["k1", "k2"], "left"), least)
+    return real.withColumn("fresh", fresh).groupBy("k1", "k2").agg(F.sum("fresh").cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("g.items")))).alias("found"))
 
 
-def _report(out: DataFrame, least: int) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 2) -> DataFrame:
+    docs = keyed(docs.select("doc_id", "text"))
+    totals = docs.select("doc_id", "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = totals.join(found_in(docs, items, n), ["k1", "k2"], "left")
     found = F.coalesce("found", F.array().cast("array<string>"))
     items = F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(found).cast("long").alias("n_items"), items, (F.size(found) >= least).alias("contaminated"))

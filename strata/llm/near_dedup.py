@@ -281,9 +281,11 @@ def near_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     signed = stored(sign(docs, n, bands_for(least)))
     named = signed.filter("digest is not null and doc_id is not null")
     rep = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    total = signed.count()
+    ids = stored(signed.select("doc_id", "n_shingles", "digest"))
+    total = ids.count()
     classes = named.join(rep.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
     classes = stored(classes.withColumnRenamed("doc_id", "rep").withColumn("cid", F.monotonically_increasing_id()))
+    discard(signed)
     member = classes.select("cid", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
     many = stored(attach(member, size, ["key"], total * bands_for(least)))
@@ -291,24 +293,33 @@ def near_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     pivot = many.join(company, "cid").groupBy("key").agg(F.max(F.struct("company", (-F.col("cid")).alias("cid"))).alias("x"), F.count("*").alias("n"))
     buckets = attach(many, pivot.select("key", (-F.col("x.cid")).alias("a"), "n"), ["key"], many.count())
     buckets = stored(buckets.select("key", "a", F.col("cid").alias("b")).filter("a != b"))
+    discard(many)
     star = stored(buckets.select("a", "b").distinct())
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     likely = stored(_promising(star, classes, least))
-    links = stored(_confirm(likely, stored(_sets(docs, classes, ends(likely), n)), num, den))
+    sets = stored(_sets(docs, classes, ends(likely), n))
+    links = stored(_confirm(likely, sets, num, den))
+    discard(sets)
     comp = components(links)
     # Buckets whose classes beside the pivot lie in several components.
     placed = buckets.join(comp, buckets.b == comp.node, "left").withColumn("comp", F.coalesce("comp", "b"))
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("a").alias("a")).filter("lo < hi")
     open_ = stored(star.join(split.select("a").distinct(), "a", "left_semi"))
+    discard(buckets)
+    discard(star)
     sets = stored(_sets(docs, classes, ends(open_), n))
     beside = stored(_beside(open_, sets, comp, num, den))
     more = stored(_confirm(stored(_promising(beside, classes, least)), sets, num, den))
+    discard(sets)
+    discard(beside)
     if more.limit(1).count():
         comp = components(links.union(more))
     # A component has the smallest doc_id of its classes.
     own = classes.select("digest", "rep", "cid").join(comp, classes.cid == comp.node, "left").select("digest", "rep", F.coalesce("comp", "cid").alias("comp"))
+    own = stored(own)
+    discard(classes)
     low = own.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     final = attach(own, low, ["comp"], total).select("digest", "component_id").join(rep.select("digest", "n"), "digest")
-    out = attach(signed.select("doc_id", "n_shingles", "digest"), final, ["digest"], total, "left")
+    out = attach(ids, final, ["digest"], total, "left")
     least_id = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", least_id.alias("component_id"), F.coalesce(F.col("doc_id") == least_id, F.lit(False)).alias("kept"))
