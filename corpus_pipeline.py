@@ -10,7 +10,7 @@ judged by keys of their own, so those without a doc_id stay like any others.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.decontaminate import decontaminate
+from strata.llm.decontaminate import found_in, keyed
 from strata.llm.language import held_out, learn, predict
 from strata.llm.near_dedup import near_dedup
 from strata.llm.packing import pack
@@ -21,17 +21,17 @@ from strata.llm.shared import stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a key of each row, stored so that it stays."""
     return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
 
 
-def _by_row(keyed: DataFrame) -> DataFrame:
-    return keyed.select(F.col("row").alias("doc_id"), "text")
+def _by_row(own: DataFrame) -> DataFrame:
+    return own.select(F.col("row").alias("doc_id"), "text")
 
 
-def _keep(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    return keyed.join(rows.select(F.col("doc_id").alias("row")), "row", "left_semi").select(*COLUMNS)
+def _keep(own: DataFrame, rows: DataFrame) -> DataFrame:
+    return own.join(rows.select(F.col("doc_id").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +41,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Keys rise with doc_id, rows without one last: of a group the smallest doc_id stays.
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
-    keyed = _keyed(docs.repartitionByRange(*order).sortWithinPartitions(*order))
-    return _keep(keyed, near_dedup(_by_row(keyed)).filter("kept"))
+    own = _numbered(docs.repartitionByRange(*order).sortWithinPartitions(*order))
+    return _keep(own, near_dedup(_by_row(own)).filter("kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    return _keep(keyed, decontaminate(_by_row(keyed), table(spark, sf_dir, "benchmark"), least=1).filter("not contaminated"))
+    own = keyed(docs.select(*COLUMNS))
+    hit = found_in(own.select("k1", "k2", "text"), table(spark, sf_dir, "benchmark"))
+    return own.join(hit.select("k1", "k2"), ["k1", "k2"], "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
