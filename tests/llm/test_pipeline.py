@@ -99,3 +99,17 @@ def test_packing_equals_direct_encoding(spark, source):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         assert sum(n for n, _ in got[i].values()) == len(ids)
         assert all(zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a : a + n])) == crc for a, (n, crc) in got[i].items())
+
+
+@pytest.mark.parametrize("kept", [8, 0])
+def test_odd_and_empty_tables(spark, tmp_path, kept):
+    spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = "".join(f"word{i} " for i in range(30_000))
+    texts = [(1, None), (2, ""), (3, "123 !!"), (4, long), (5, "a text held twice"), (5, "a text held twice"), (None, "a text of no id"), (7, "and one two three four five six seven eight")]
+    docs = rows(spark, [(i, t or "") for i, t in texts]).limit(0)
+    if kept:
+        docs = spark.createDataFrame([(i, t, None if i == 4 else "en", None, None, "x", 1) for i, t in texts], f"{COLUMNS}, row string, kept int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({r.doc_id or 0 for r in got}) == ([0, 4, 5] if kept else [])
+    assert sum(r.piece == 0 for r in got) == (3 if kept else 0)
