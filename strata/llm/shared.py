@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Keys that hold more than one row in this many are hot; there are fewer of them than this.
 HOT = 1000
+#: Bytes of rows sent to a Python worker at once while a table is stored: neither side holds more, however long the rows.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,9 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def attach(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:

@@ -14,7 +14,7 @@ import re
 from array import array
 
 #: Words kept in each of the memo's two generations, and characters of a word that is kept.
-MAX_KEPT, MAX_WORD = 400_000, 64
+MAX_KEPT, MAX_WORD = 200_000, 64
 #: Bytes of text that are encoded together.
 PORTION = 1 << 20
 # Plain letters, digits and marks, and the pre-tokenizers' patterns over them.
