@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from strata.llm.tokens import portions
+from strata.llm.tokens import portions, release
 
 #: Size of the feature table, words in a run, passes over the training sample.
 SLOTS, SPAN, EPOCHS = 1 << 18, 64, 2
@@ -261,6 +261,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
     def tag(batches):
         import pyarrow as pa
 
+        release()
         judge = Judge(*sent.value)
         for batch in batches:
             for part in portions(batch, PORTION, text):

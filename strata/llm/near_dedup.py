@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.shared import HOT, attach, discard, stored
-from strata.llm.tokens import portions
+from strata.llm.tokens import portions, release
 
 #: Hashes in a band, and the greatest probability of missing a link at the threshold.
 ROWS, MISSED = 8, 1e-6
@@ -94,6 +94,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int = ROWS) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        release()
         shingle, rng = Shingler(n), np.random.default_rng(5)
         a = rng.integers(0, 2**31, bands * rows, dtype="u4") * np.uint32(2) + np.uint32(1)
         b = rng.integers(0, 2**32, bands * rows, dtype="u4")

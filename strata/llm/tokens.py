@@ -127,6 +127,19 @@ def encoder(tokenizer_file: str) -> Encoder:
     return _encoders[tokenizer_file]
 
 
+def release():
+    """Gives back the memory of this process's encoders; called by a worker that goes on to other work."""
+    import ctypes
+    import gc
+
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim:
+            trim(0)
+
+
 def portions(batch, most: int = PORTION, column: str = "text"):
     """Slices of an Arrow batch with about `most` bytes of text, at least one row each."""
     import numpy as np

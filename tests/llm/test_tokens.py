@@ -45,3 +45,12 @@ def test_portions_hold_every_row_once():
     parts = list(portions(rows, 100))
     assert [x for p in parts for x in p["n"].to_pylist()] == [0, 1, 2, 3, 4] and len(parts) > 1
     assert list(portions(rows.slice(0, 0), 100)) == []
+
+
+def test_released_encoders_are_made_again():
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    first = tokens.encoder(name)
+    ids = first(["a b", ""])
+    tokens.release()
+    tokens.release()
+    assert tokens.encoder(name) is not first and tokens.encoder(name)(["a b", ""]) == ids
