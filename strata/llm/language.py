@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from strata.llm.shared import narrow
 from strata.llm.tokens import portions, release
 
 #: Size of the feature table, words in a run, passes over the training sample.
@@ -251,6 +252,7 @@ class Judge:
 
 def predict(docs: DataFrame, model) -> DataFrame:
     """All columns of docs, lang_pred and score."""
+    narrow(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x labels
     plain = [f"c{i}" for i in range(len(docs.columns))]
     text = plain[docs.columns.index("text")]

@@ -26,7 +26,8 @@ bucket are settled in two linear steps:
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.shared import HOT, attach, discard, stored
+from strata.llm.shared import HOT, attach, discard, narrow
+from strata.llm.shared import stored_wide as stored
 from strata.llm.tokens import portions, release
 
 #: Hashes in a band, and the greatest probability of missing a link at the threshold.
@@ -279,6 +280,7 @@ def _beside(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: i
 def near_dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; linked where den * common >= num * all shingles."""
     least = num / den
+    narrow(docs.sparkSession)
     signed = stored(sign(docs, n, bands_for(least)))
     named = signed.filter("digest is not null and doc_id is not null")
     rep = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))

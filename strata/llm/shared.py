@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 #: Keys that hold more than one row in this many are hot; there are fewer of them than this.
 HOT = 1000
-#: Bytes of rows sent to a Python worker at once while a table is stored: neither side holds more, however long the rows.
+#: Bytes of rows sent to a Python worker at once: neither side holds more, however long the rows.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+#: Shuffle partitions of tables with many rows a document: WIDER times the session's, as long as these are below Spark's default.
+PARTITIONS, WIDER, USUAL = "spark.sql.shuffle.partitions", 4, 200
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,18 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    before = spark.conf.get(BATCH, None)
+def narrow(spark: SparkSession) -> None:
+    """Sends rows to Python workers by BATCH_BYTES from now on in this session."""
     spark.conf.set(BATCH, BATCH_BYTES)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_wide(df: DataFrame) -> DataFrame:
+    """As `stored`, with smaller shuffle partitions: for tables with many rows a document."""
+    conf = df.sparkSession.conf
+    before = conf.get(PARTITIONS)
+    conf.set(PARTITIONS, max(int(before), min(WIDER * int(before), USUAL)))
     try:
-        df.write.parquet(path)
+        return stored(df)
     finally:
-        if before is None:
-            spark.conf.unset(BATCH)
-        else:
-            spark.conf.set(BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+        conf.set(PARTITIONS, before)
 
 
 def attach(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
